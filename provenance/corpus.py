@@ -1,0 +1,126 @@
+"""The queries over documents that need token ids: p6 and p7 of TESTDATA.md."""
+
+from __future__ import annotations
+
+import bisect
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+CONTAINER = 4096
+#: Rows encoded at a time, so that a worker never holds the ids of a whole Arrow batch.
+ROWS = 256
+
+
+def encoder():
+    """A function from text to the ids of byte_bpe_50k."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def encoded(batches: Iterator, count: bool) -> Iterator:
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    encode = encoder()
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            ids = [encode(x) if x else [] for x in part.column(1).to_pylist()]
+            n = np.fromiter(map(len, ids), "int32", len(ids))
+            if count:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype("int64"))], ["doc_id", "n_tokens"])
+                continue
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype("int32")
+            flat = np.fromiter(itertools.chain.from_iterable(ids), "int32", int(offsets[-1]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+
+
+def tokens(spark: SparkSession, sf_dir: str, count: bool) -> DataFrame:
+    import provenance.corpus as own
+
+    cloudpickle.register_pickle_by_value(own)  # the workers need not find this file
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.mapInArrow(lambda b: own.encoded(b, count), "doc_id long, " + ("n_tokens long" if count else "ids array<int>"))
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6: each document's token ids."""
+    return tokens(spark, sf_dir, count=False)
+
+
+def pack(sizes: dict[int, int], capacity: int = CONTAINER) -> list[tuple[int, ...]]:
+    """Best fit decreasing over how many pieces there are of each size, worked for all containers of like fill at once.
+
+    Rows (size, lo, hi, container, each, place, start): the pieces of the size with rank lo until before hi go, each of
+    them per container, into the containers from `container` on, as number `place` and at token `start` there and on.
+    """
+    free: dict[int, list[tuple[int, int, int]]] = {}  # by space left: first container, containers, pieces in each
+    spaces: list[int] = []
+    out, opened = [], 0
+
+    def put(space: int, group: tuple[int, int, int]) -> None:
+        if space and group[1]:
+            if space not in free:
+                bisect.insort(spaces, space)
+                free[space] = []
+            free[space].append(group)
+
+    for size in sorted(sizes, reverse=True):
+        lo, left = 0, sizes[size]
+        while left:
+            if (at := bisect.bisect_left(spaces, size)) < len(spaces):
+                space = spaces[at]
+                first, many, held = free[space].pop()
+                if not free[space]:
+                    del free[space], spaces[at]
+            else:
+                space, first, held = capacity, opened, 0
+                many = -(-left // (capacity // size))
+                opened += many
+            each = space // size
+            full = min(many, left // each)
+            for containers, k in ((full, each), (1, left - full * each if full < many else 0)):
+                if containers and k:
+                    out.append((size, lo, lo + containers * k, first, k, held, capacity - space))
+                    put(space - k * size, (first, containers, held + k))
+                    first, many, lo, left = first + containers, many - containers, lo + containers * k, left - containers * k
+            put(space, (first, many, held))
+    return out
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7: the container and place of every notebook, or piece of one longer than a container."""
+    size = F.least(F.lit(CONTAINER), F.col("n_tokens") - F.col("piece") * CONTAINER)
+    pieces = (
+        tokens(spark, sf_dir, count=True)
+        .where("n_tokens > 0")
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {CONTAINER}"))))
+        .select("doc_id", "piece", size.alias("size"))
+        .persist()  # three numbers a piece; else every text is encoded twice
+    )
+    # one row a size, so 4,096 at most whatever the input
+    plan = pack({r[0]: r[1] for r in pieces.groupBy("size").count().collect()})
+    plan = spark.createDataFrame(plan, "size long, lo long, hi long, first long, each long, held long, start long")
+    rank = F.row_number().over(Window.partitionBy("size").orderBy("doc_id", "piece")).cast("long") - 1
+    nth = F.col("rank") - F.col("lo")
+    return (
+        pieces.withColumn("rank", rank)
+        .join(F.broadcast(plan), "size")
+        .where("rank >= lo and rank < hi")
+        .select(
+            "doc_id", "piece", (F.col("piece") * CONTAINER).alias("first_token"), F.col("size").alias("n_tokens"),
+            F.expr("first + (rank - lo) div each").alias("container"), (F.col("held") + nth % F.col("each")).alias("place"),
+            (F.col("start") + nth % F.col("each") * F.col("size")).alias("container_token"),
+        )
+    )

@@ -1,0 +1,223 @@
+"""The queries over the provenance tables: p1 to p5 of TESTDATA.md."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def same_name(c: Column) -> Column:
+    """Equal for two names that agree without letter case, spaces and punctuation."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]", "")
+
+
+def same_name_py(s: str | None) -> str:
+    return "".join(c for c in (s or "").lower() if unicodedata.category(c)[0] in "LMN")
+
+
+def cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scored predictions of the models with a target, and those models' cutoffs with the number kept."""
+    targets = table(spark, sf_dir, "keep_targets").where("model is not null and keep_permille is not null")
+    p = F.col("p_organic")
+    scored = (
+        table(spark, sf_dir, "predictions")
+        .where(p.isNotNull() & ~F.isnan(p) & p.between(0.0, 1.0))
+        .join(F.broadcast(targets.select("model")), "model", "left_semi")
+        .groupBy("model", "split_name", "sample_id")
+        .agg(F.max(p + F.lit(0.0)).alias("p"))
+    )
+    by_model = Window.partitionBy("model")
+    cutoffs = (
+        scored.groupBy("model", "p")
+        .agg(F.count("*").alias("c"))
+        .withColumn("at_or_above", F.sum("c").over(by_model.orderBy(F.desc("p"))))
+        .withColumn("n", F.sum("c").over(by_model))
+        .join(F.broadcast(targets), "model")
+        .where(F.col("at_or_above") * 1000 >= F.col("keep_permille").cast("long") * F.col("n"))
+        .groupBy("model")
+        .agg(F.max("p").alias("cutoff"), F.min("at_or_above").alias("n_kept"))
+    )
+    return scored, cutoffs
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1: the predictions at or above their model's cutoff."""
+    scored, cutoffs = cut(spark, sf_dir)
+    return scored.join(F.broadcast(cutoffs), "model").where("p >= cutoff").select("model", "split_name", "sample_id")
+
+
+def cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1: model, cutoff and number kept."""
+    return cut(spark, sf_dir)[1]
+
+
+def related_sets(listings: list[tuple]) -> dict[str, tuple[str, int | None]]:
+    """For each name of (model_group, devices, fold) rows: its set, and the one fold of that set."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    rows = []
+    for group, devices, fold in listings:
+        # a name may hold a space, so white space divides only a list without another separator
+        names = re.split(r"[,;|/]" if re.search(r"[,;|/]", devices or "") else r"\s+", devices or "")
+        names = [n for n in map(same_name_py, [group, *names]) if n]
+        for n in names:
+            parent[root(n)] = root(names[0])
+        if names:
+            rows.append((names[0], fold))
+    folds: dict[str, set[int]] = {}
+    for n, fold in rows:
+        if fold is not None:
+            folds.setdefault(root(n), set()).add(fold)
+    return {n: (root(n), next(iter(f)) if len(f := folds.get(root(n), set())) == 1 else None) for n in list(parent)}
+
+
+def fold_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2: the videos whose fold is not that of their related set. model_splits has a fixed size; only it comes to the driver."""
+    listings = [tuple(r) for r in table(spark, sf_dir, "model_splits").select("model_group", "devices", "fold").collect()]
+    sets = [(n, f) for n, (_, f) in sorted(related_sets(listings).items()) if f is not None]
+    sets = spark.createDataFrame(sets, "name string, set_fold int")
+    return (
+        table(spark, sf_dir, "videos")
+        .where("fold is not null")
+        .withColumn("name", same_name(F.coalesce("device", "model_group")))
+        .join(F.broadcast(sets), "name")
+        .where("fold <> set_fold")
+        .select("row_id")
+    )
+
+
+SHARES = {"train": 0.6, "val": 0.2, "test": 0.2}
+
+
+def deal(pairs: list[tuple], listings: list[tuple]) -> list[tuple]:
+    """A split for each (device, model_group, records): the largest related sets first, each to the split that lacks most."""
+    sets = related_sets([(g, d, f) for g, d, f in listings] + [(g, d, None) for d, g, _ in pairs])
+    n: dict[str, int] = {}
+    for d, g, c in pairs:
+        root = sets[d or g][0]
+        n[root] = n.get(root, 0) + c
+    lacks, split = {k: x * sum(n.values()) for k, x in SHARES.items()}, {}
+    for root in sorted(n, key=lambda r: (-n[r], r)):
+        split[root] = max(SHARES, key=lambda k: lacks[k])
+        lacks[split[root]] -= n[root]
+    return [(d, g, split[sets[d or g][0]]) for d, g, _ in pairs]
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2: a split for every video. Only the distinct names, of a fixed number, come to the driver. A video without any name is tied to none."""
+    listings = [tuple(r) for r in table(spark, sf_dir, "model_splits").select("model_group", "devices", "fold").collect()]
+    named = table(spark, sf_dir, "videos").select("row_id", *(F.coalesce(same_name(F.col(c)), F.lit("")).alias(k) for c, k in (("device", "d"), ("model_group", "g"))))
+    pairs = [tuple(r) for r in named.where("d <> '' or g <> ''").groupBy("d", "g").count().orderBy("d", "g").collect()]
+    dealt = spark.createDataFrame(deal(pairs, listings), "d string, g string, split string")
+    at = F.pmod(F.xxhash64("row_id"), F.lit(10))
+    alone = F.when(at < 6, "train").when(at < 8, "val").otherwise("test")
+    return named.join(F.broadcast(dealt), ["d", "g"], "left").select("row_id", F.coalesce("split", alone).alias("split"))
+
+
+def top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3: each query's three best candidates. Spark cuts to three in every task before the shuffle by query."""
+    order = Window.partitionBy("query").orderBy(F.desc("best"), F.asc("candidate"))
+    return (
+        table(spark, sf_dir, "scores")
+        .where(F.col("pce0").isNotNull() & ~F.isnan("pce0") & F.col("candidate").isNotNull() & F.col("query").isNotNull())
+        .groupBy("query", "candidate")
+        .agg(F.max(F.col("pce0") + F.lit(0.0)).alias("best"))
+        .withColumn("rank", F.row_number().over(order))
+        .where("rank <= 3")
+        .select("query", "candidate")
+    )
+
+
+def load_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4: the loads with bad values, or whose nulls or values differ from the load they are compared with. Shares are compared as whole numbers, so nothing hangs on rounding."""
+    inventory = table(spark, sf_dir, "inventory").where("load_id is not null")
+    bad = {
+        "fps": F.isnan("fps") | ~F.col("fps").between(1.0, 240.0),
+        "width": ~F.col("width").between(16, 8192),
+        "codec": ~F.col("codec").rlike(r"\A[a-z][a-z0-9]{2,9}\z"),
+    }
+    shown = {"fps": F.when(~bad["fps"], F.floor(F.col("fps") + 0.5)), "width": F.col("width"), "codec": F.col("codec")}
+    parts = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).isNull().alias("is_null"), F.coalesce(bad[c], F.lit(False)).alias("is_bad"), F.when(F.col(c).isNotNull() & ~bad[c], shown[c].cast("string")).alias("value")) for c in bad))
+    # at most three rows for each load and value are left of the table here
+    values = (
+        inventory.select("load_id", F.explode(parts).alias("x"))
+        .groupBy("load_id", "x.column_name", "x.is_null", "x.is_bad", "x.value")
+        .agg(F.count("*").alias("n"))
+    )
+    total = values.groupBy("load_id", "column_name").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("is_null"), F.col("n")).otherwise(0)).alias("nulls"),
+        F.sum(F.when(F.col("is_bad"), F.col("n")).otherwise(0)).alias("bads"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("good"),
+    )
+    bases = table(spark, sf_dir, "loads").where("base_load_id is not null").select("load_id", "base_load_id").distinct()
+    base = total.select(F.col("load_id").alias("base_load_id"), "column_name", *(F.col(c).alias(f"base_{c}") for c in ("rows", "nulls", "good")))
+    pairs = total.join(F.broadcast(bases), "load_id").join(base, ["base_load_id", "column_name"])
+
+    def times(a: str, b: str) -> Column:
+        return F.col(a).cast("decimal(18,0)") * F.col(b).cast("decimal(18,0)")
+
+    nulls = pairs.where(F.abs(times("nulls", "base_rows") - times("base_nulls", "rows")) * 10 > times("rows", "base_rows"))
+    good = values.where("value is not null").select("load_id", "column_name", "value", "n")
+    both = pairs.select("load_id", "base_load_id", "column_name", "good", "base_good").where("good > 0 and base_good > 0")
+    own = both.join(good, ["load_id", "column_name"]).select(*both.columns, "value", "n", F.lit(0).cast("long").alias("base_n"))
+    other = both.join(good.withColumnRenamed("load_id", "base_load_id"), ["base_load_id", "column_name"]).select(*both.columns, "value", F.lit(0).cast("long").alias("n"), F.col("n").alias("base_n"))
+    mix = (
+        own.unionByName(other)
+        .groupBy(*both.columns, "value")
+        .agg(F.sum("n").alias("n"), F.sum("base_n").alias("base_n"))
+        .groupBy(*both.columns)
+        .agg(F.sum(F.abs(times("n", "base_good") - times("base_n", "good"))).alias("differ"))
+        .where(F.col("differ") * 10 > times("good", "base_good") * 6)
+    )
+    found = ((total.where("bads > 0"), "value"), (nulls, "nulls"), (mix, "mix"))
+    first, *rest = (df.select("load_id", "column_name", F.lit(kind).alias("finding")) for df, kind in found)
+    for df in rest:
+        first = first.union(df)
+    return first.distinct()
+
+
+def plain_path(c: Column) -> Column:
+    """The path with `.`, `..` and repeated slashes resolved."""
+    absolute = c.startswith("/")
+    up = lambda a: F.when((F.size(a) > 0) & F.coalesce(F.get(a, F.size(a) - 1) != "..", F.lit(False)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(absolute, a).otherwise(F.concat(a, F.array(F.lit(".."))))
+    parts = F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(done, "/"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that name a device or path not held when they were made."""
+
+    def without(name: str, value: str, key, held: DataFrame) -> DataFrame:
+        rows = table(spark, sf_dir, name).where(F.col(value).isNotNull() & ~F.col(value).rlike(r"(?U)\A\s*\z"))
+        rows = rows.select("row_id", key(F.col(value)).alias("key"), "created_at")
+        covers = (F.col("key") == F.col("held")) & (F.col("from") <= F.col("created_at")) & (F.col("until").isNull() | (F.col("created_at") < F.col("until")))
+        return rows.join(held, covers, "left_anti").select(F.lit(name).alias("table_name"), "row_id", "created_at")
+
+    devices = F.broadcast(table(spark, sf_dir, "camera_registry").select(same_name(F.col("device")).alias("held"), F.col("registered_at").alias("from"), F.col("retired_at").alias("until")))
+    files = table(spark, sf_dir, "frame_files").select(plain_path(F.col("path")).alias("held"), F.col("written_at").alias("from"), F.col("deleted_at").alias("until"))
+    return without("attacks", "claimed_device", same_name, devices).union(without("synthetic", "claimed_device", same_name, devices)).union(without("frames_index", "frames_path", plain_path, files))
+
+
+def not_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p5: the rows that name a device or path not held when they were made."""
+    return cases(spark, sf_dir).select("table_name", "row_id")
+
+
+def not_held_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p5: the number of those rows per table and month."""
+    return cases(spark, sf_dir).groupBy("table_name", F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))

@@ -1,0 +1,171 @@
+"""Personal information in the notebooks: p8 of TESTDATA.md."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Upper case first letter and word, composed or with combining marks.
+U, W = "[A-ZÀ-ÖØ-ÞŁŚŻŠŽČ]", "[A-ZÀ-ÖØ-ÞŁŚŻŠŽČ](?:[A-Za-zÀ-ÖØ-öø-ſ\u0300-\u036f]|['’][A-Za-zÀ-ÖØ-öø-ſ])+"
+
+AT = r"(?:@|＠|﹫|%40|&#64;|&#x40;|&commat;| ?[\[({<](?i:at)[\])}>] ?)"
+DOT = r"(?:\.| ?[\[({](?i:dot|\.)[\])}] ?| (?i:dot) )"
+LABEL = "[A-Za-z0-9-]+"
+EMAIL = rf"(?:{AT}(?:{LABEL}{DOT})+[A-Za-z]{{2,}}| (?i:at) (?:{LABEL}(?: (?i:dot) |\.))*{LABEL} (?i:dot) [A-Za-z]{{2,}})"
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-")
+
+S = "[ .\u00a0\u202f-]"
+G = "[ ./\u00a0\u202f\u2011-]"
+PHONE = rf"(?:\+\d(?:{G}?(?:\(0\) ?)?\d){{8,13}}|00[1-9]\d(?:{S}\d{{2,6}}){{2,5}}|\(\d{{3}}\) ?\d{{3}}{S}\d{{4}}|[2-9]\d\d(?:-\d{{3}}-|\.\d{{3}}\.| \d{{3}} )\d{{4}}|0\d{{4}} \d{{6}}|0\d\d \d{{4}} \d{{4}}|0\d{{3}} \d{{3}} \d{{3}}|0\d\d \d{{5}} \d{{3}}|0\d{{1,4}}/\d{{5,9}}|0\d(?:[. ]\d\d){{4}})"
+
+LABELS = r"(?i:ssn|soc(?:ial|\.) sec(?:urity|\.)(?: (?:number|no\.?))?|social insurance (?:number|no\.?)|nino|ni (?:number|no\.?)|national insurance (?:number|no\.?)|passport(?: (?:number|no\.?))?|passeport|pasaporte|pass-nr\.?|reisepass(?:-?nr\.?)?|dni|nif|nie|pesel|documento|tin|tax (?:id|number|no\.?)|steuer-?(?:id|nr\.?)|personal(?:-?nr\.?|nummer| number| no\.?)|personnel (?:number|no\.?)|employee (?:id|number|no\.?)|national id(?:entity)?(?: (?:number|no\.?))?|ausweis(?:-?nr\.?)?)"
+ID = r"(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{1,2}\d{7,8}|[A-Z]\d{4} \d{4}|\d{3}[- ]\d\d[- ]\d{4}|\d\d \d{3} \d{3} \d{3}|\d{8}-\d{4}|\d{8}-?[A-Z]|\d{6}-\d{4}|\d{11}|\d{9})"
+ID_AFTER = rf"{LABELS}[\"'\\]{{0,2}}(?: ?[:=|#] ?| : | )(?:[\"'\\]{{0,2}})({ID})"
+ID_BEFORE = rf"({ID})[\"'\\]{{0,2}}\)? {{1,2}}(?:#|\(|//) ?{LABELS}"
+
+N = "[0-9]+[a-z]?(?:[–-][0-9]+[a-z]?)?"
+STREET = (
+    rf"{N} (?:(?:Old|New|West|East|North|South|Upper|Lower|[NSEW]\.) )?{W} (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Crescent|Hill|Court|Ct|Way|Close|Place|Terrace|Square|Boulevard|Blvd)",
+    rf"{N}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse|av\.|bd) (?:de la |des |du |de |d['’])?{W}",
+    rf"{U}[A-Za-zÀ-ÖØ-öø-ſ]+(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|gatan|gata|vägen|gade|vej|straat|laan) {N}",
+    rf"(?:{W} (?:Str\.|Straße|Weg|Platz)|(?:Am|Im|Zum|Zur|An der|An den|Auf der) {W}) {N}",
+    rf"(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino) (?:de la |de los |del |de )?{W},? (?:n\.º )?{N}",
+    rf"(?:ul\.|al\.|pl\.) {W} {N}",
+)
+
+PARTICLE = "(?:van der|van den|van|von|zu|de la|de los|del|de|della|di|da|dos|du|la|le|bin|ibn|al|el|ter|ten)"
+FAMILY = rf"(?:{PARTICLE} )?{W}(?:-{W})?"
+INITIALS = r"(?: [A-Z]\.)*"
+NAME = rf"(?:(?:{W}(?:-{W})?|[A-Z]\.){INITIALS} {FAMILY}|{FAMILY}, (?:{W}(?:-{W})?|[A-Z]\.){INITIALS})"
+TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|M|Mme|Herr|Frau|Sra?)\.? )*"
+NAMED = (
+    rf"(?:__author__ = \\?[\"']|[Ww]ritten by |Notebook by |operator=|owner = \\?[\"']|TODO\(|Thanks to |Author: |Review(?:er)?: |Signed-off-by: |[Aa]pproved by |Betreut von |Préparé par |<td>){TITLE}({NAME})",
+    rf"(?:^|\n)\d+ {{3}}({NAME}) {{3}}",
+    rf"(?:\bAs |\bAsk ){TITLE}({NAME})(?= noted| before)",
+    rf"({NAME})(?= recorded )",
+)
+
+#: Lines without any of these hold nothing; RE2 reads through them fast. It has no look-around and needs none here.
+def line_filter(given: list[str]) -> str:
+    plain = [p.replace("(?=", "(?:") for p in NAMED]
+    return "|".join([rf"[A-Za-z0-9]{EMAIL}", PHONE, ID_AFTER, ID_BEFORE, *STREET, *plain, rf"(?:{'|'.join(map(re.escape, given))}) (?:[A-Z]\. |[a-z]{{2,5}} ){{0,3}}{U}"])
+
+
+def same_name(s: str) -> str:
+    return unicodedata.normalize("NFC", s).replace("’", "'").removeprefix("O'").lower()
+
+
+class Finder:
+    def __init__(self, given: list[str], family: list[str]):
+        self.given, self.family = {same_name(x) for x in given}, {same_name(x) for x in family}
+        self.email = re.compile(EMAIL)
+        self.phone = re.compile(rf"(?<![\w.+/:–-])(?<!\d ){PHONE}(?![\w])(?![.-]\d)(?! \d{{2}})")
+        self.ids = [re.compile(rf"(?<!\w){p}" if p is ID_AFTER else rf"(?<![\w.-]){p}") for p in (ID_AFTER, ID_BEFORE)]
+        self.id_end = re.compile(r"[\w]|-\w")
+        self.streets = [re.compile(rf"(?<![\w.–/-]){p}(?![\w–])") for p in STREET]
+        self.named = [re.compile(p) for p in NAMED]
+        self.any_name = re.compile(rf"(?<![\w'’-])(?=({NAME})(?![\w'’\u0300-\u036f]))")
+
+    def spans(self, line: str) -> list[tuple[int, int, str]]:
+        """The pieces of a line, in order; none lies over another."""
+        # written-out line ends are no part of a word; the length stays
+        s = re.sub(r"\\[nrt]", "\n\n", line) if "\\" in line else line
+        out: list[tuple[int, int, str]] = []
+
+        def add(start: int, end: int, kind: str) -> None:
+            if all(end <= a or b <= start for a, b, _ in out):
+                out.append((start, end, kind))
+
+        for m in self.email.finditer(s):
+            start = m.start()
+            while start and s[start - 1] in LOCAL:
+                start -= 1
+            while start < m.start() and s[start] in "._+-":
+                start += 1
+            if start < m.start():
+                add(start, m.end(), "email")
+        for p in self.ids:
+            for m in p.finditer(s):
+                if not self.id_end.match(s, m.end(1)):
+                    add(*m.span(1), "identity")
+        for p in self.streets:
+            for m in p.finditer(s):
+                add(*m.span(), "address")
+        for m in self.phone.finditer(s):
+            add(*m.span(), "phone")
+        for p in self.named:
+            for m in p.finditer(s):
+                add(*m.span(1), "name")
+        for m in self.any_name.finditer(s):
+            if self.known(m[1]):
+                add(*m.span(1), "name")
+        return sorted(out)
+
+    def known(self, name: str) -> bool:
+        """Whether both the given name, or initial, and the family name are in name_list."""
+        last, comma, first = name.partition(", ")
+        words = name.split(" ")
+        first, last = (first.split(" ")[0], last.split(" ")[-1]) if comma else (words[0], words[-1])
+        return same_name(first) in self.given and any(same_name(x) in self.family for x in last.split("-"))
+
+
+def scanned(batches: Iterator, given: list[str], family: list[str], masked: bool) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    find, lines_with = Finder(given, family), line_filter(given)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            texts = [(x or "").split("\n") for x in part.column(1).to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            flat = pa.array([line for x in texts for line in x], pa.large_string())
+            hits = np.flatnonzero(pc.match_substring_regex(flat, lines_with).to_numpy(zero_copy_only=False))
+            own = np.searchsorted(ends, hits, side="right")
+            ids, found, seen = part.column(0).to_pylist(), [], set()
+            for doc, k in zip(own.tolist(), hits.tolist()):
+                i = k - int(ends[doc] - len(texts[doc]))
+                line = texts[doc][i]
+                spans = find.spans(line)
+                for a, b, kind in spans:
+                    if (x := (ids[doc], kind, line[a:b])) not in seen:
+                        seen.add(x)
+                        found.append(x)
+                if masked:
+                    for a, b, kind in reversed(spans):
+                        line = f"{line[:a]}[{kind.upper()}]{line[b:]}"
+                    texts[doc][i] = line
+            if masked:
+                null = part.column(1).is_null().to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if n else "\n".join(x) for n, x in zip(null, texts)], pa.string())], ["doc_id", "text"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "kind", "found_text"])
+
+
+def over(spark: SparkSession, sf_dir: str, masked: bool) -> DataFrame:
+    import provenance.pii as own
+
+    cloudpickle.register_pickle_by_value(own)  # the workers need not find this file
+    # a list of fixed size; only it comes to the driver
+    names = spark.read.parquet(f"{sf_dir}/name_list.parquet").where("name is not null").select("name", "kind").collect()
+    given, family = (sorted({n for n, k in names if k == kind}) for kind in ("given", "family"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    if not masked:
+        docs = docs.where(F.length("text") > 0)
+    return docs.mapInArrow(lambda b: own.scanned(b, given, family, masked), "doc_id long, " + ("text string" if masked else "kind string, found_text string"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8: each piece of personal information, once per document, kind and wording."""
+    return over(spark, sf_dir, masked=False)
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8: each text with typed placeholders in place of personal information, all else unchanged."""
+    return over(spark, sf_dir, masked=True)

@@ -1,0 +1,230 @@
+"""p1 to p7 against a plain reading of TESTDATA.md's definitions, row by row, over the smallest tables."""
+
+import math
+import posixpath
+import re
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import pyarrow.parquet as pq
+import pytest
+
+import __spark_entry__ as entry
+from provenance import corpus, domain
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(name, sf=SF):
+    return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+
+
+def found(spark, query, sf=SF):
+    out = [tuple(r) for r in entry.queries()[query](spark, sf).collect()]
+    assert len(out) == len(set(map(str, out)))
+    return out
+
+
+def plain(s):
+    return re.sub(r"[\W_]", "", (s or "").lower())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_p1(spark):
+    by = defaultdict(dict)
+    for r in rows("predictions"):
+        if r["model"] is not None and r["p_organic"] is not None and 0 <= r["p_organic"] <= 1:
+            by[r["model"]][r["split_name"], r["sample_id"]] = r["p_organic"]
+    want = set()
+    for t in rows("keep_targets"):
+        ps = sorted(by[t["model"]].values(), reverse=True)
+        if ps:
+            cut = ps[max(1, math.ceil(Fraction(t["keep_permille"] * len(ps), 1000))) - 1]
+            want |= {(t["model"], *k) for k, p in by[t["model"]].items() if p >= cut}
+    assert want and set(found(spark, "p1_found")) == want
+
+
+def test_p2(spark):
+    sets = [({plain(x) for x in [r["model_group"], *re.split("[,; ]+", r["devices"] or "")]} - {""}, {r["fold"]} - {None}) for r in rows("model_splits")]
+    while True:
+        for i, (names, folds) in enumerate(sets):
+            if hit := [s for s in sets[i + 1 :] if s[0] & names]:
+                sets = [s for s in sets if s not in hit]
+                for s in hit:
+                    names |= s[0]
+                    folds |= s[1]
+                break
+        else:
+            break
+    at = {n: f for names, f in sets for n in names}
+    want = {(r["row_id"],) for r in rows("videos") if (f := at.get(plain(r["device"] if r["device"] is not None else r["model_group"]))) and r["fold"] is not None and {r["fold"]} != f}
+    assert want and set(found(spark, "p2_found")) == want
+    s = domain.related_sets([("A b", "x;Y 1", 1), ("a-B", "z", None), ("c", "y1 q", None), ("d", "w", None)])
+    assert s["q"] == s["z"] and s["q"][1] == 1 and s["w"][1] is None
+
+
+def test_p3(spark):
+    best = defaultdict(dict)
+    for r in rows("scores"):
+        if r["pce0"] is not None and r["pce0"] == r["pce0"]:
+            best[r["query"]][r["candidate"]] = max(r["pce0"], best[r["query"]].get(r["candidate"], -math.inf))
+    want = {(q, c) for q, x in best.items() for c in sorted(x, key=lambda c: (-x[c], c.encode()))[:3]}
+    assert want and set(found(spark, "p3_found")) == want
+
+
+def test_p4(spark):
+    bad = {"fps": lambda x: not 1 <= x <= 240, "width": lambda x: not 16 <= x <= 8192, "codec": lambda x: not re.fullmatch("[a-z][a-z0-9]{2,9}", x)}
+    sf = "/root/testdata/sf0.01"
+    by = defaultdict(list)
+    for r in rows("inventory", sf):
+        by[r["load_id"]].append(r)
+    want = set()
+    for r in rows("loads", sf):
+        for c in bad:
+            def of(load):
+                xs = [x[c] for x in by[load]]
+                good = [math.floor(x + 0.5) if c == "fps" else x for x in xs if x is not None and not bad[c](x)]
+                return Fraction(xs.count(None), len(xs)), {k: Fraction(n, len(good)) for k, n in Counter(good).items()}
+
+            if any(x[c] is not None and bad[c](x[c]) for x in by[r["load_id"]]):
+                want.add((r["load_id"], c, "value"))
+            if r["base_load_id"] is not None:
+                (n, m), (n0, m0) = of(r["load_id"]), of(r["base_load_id"])
+                if abs(n - n0) > Fraction(1, 10):
+                    want.add((r["load_id"], c, "nulls"))
+                if sum(abs(m.get(k, 0) - m0.get(k, 0)) for k in {*m, *m0}) / 2 > Fraction(3, 10):
+                    want.add((r["load_id"], c, "mix"))
+    assert {f for *_, f in want} == {"value", "nulls", "mix"} and set(found(spark, "p4_found", sf)) == want
+
+
+def test_p5(spark):
+    def held(table, value, key, start, end):
+        by = defaultdict(list)
+        for r in rows(table):
+            by[key(r[value])].append((r[start], r[end]))
+        return by
+
+    registry, files = held("camera_registry", "device", plain, "registered_at", "retired_at"), held("frame_files", "path", posixpath.normpath, "written_at", "deleted_at")
+    want = set()
+    for t, c, key, by in (("attacks", "claimed_device", plain, registry), ("synthetic", "claimed_device", plain, registry), ("frames_index", "frames_path", posixpath.normpath, files)):
+        want |= {(t, r["row_id"]) for r in rows(t) if (r[c] or "").strip() and not any(a <= r["created_at"] and (b is None or r["created_at"] < b) for a, b in by[key(r[c])])}
+    assert want and set(found(spark, "p5_found")) == want
+
+
+@pytest.mark.parametrize("path", ["a/./b//c", "./a/../b", "a/../../b", "/../a/", "../../a/..", "a/b/../../c/."])
+def test_plain_path(spark, path):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(domain.plain_path(df.p)).first()[0] == ("" if (x := posixpath.normpath(path)) == "." else x)
+
+
+def test_p6(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids for r in rows("documents")}
+    assert dict(entry.queries()["p6_ids"](spark, SF).collect()) == want
+    assert corpus.encoder()("<|endoftext|>  x") == t.encode("<|endoftext|>  x", add_special_tokens=False).ids
+
+
+def test_p7(spark):
+    n = {d: len(i) for d, i in entry.queries()["p6_ids"](spark, SF).collect()}
+    out = entry.queries()["p7_containers"](spark, SF).collect()
+    seen, bins = Counter(), defaultdict(list)
+    for r in out:
+        assert r.n_tokens == min(4096, n[r.doc_id] - r.first_token) and r.first_token == r.piece * 4096
+        seen[r.doc_id] += r.n_tokens
+        bins[r.container].append((r.place, r.container_token, r.n_tokens))
+    assert seen == Counter({d: k for d, k in n.items() if k}) and len({(r.doc_id, r.piece) for r in out}) == len(out)
+    for held in bins.values():
+        at = 0
+        for i, (place, start, size) in enumerate(sorted(held)):
+            assert (place, start) == (i, at)
+            at += size
+        assert at <= 4096
+    assert sorted(bins) == list(range(len(bins)))
+    assert len(bins) <= 1.02 * sum(n.values()) / 4096 + 1
+
+
+def test_pack_is_best_fit_decreasing():
+    sizes = {7: 3, 5: 11, 4: 2, 3: 20, 2: 1, 1: 4}
+    space = []
+    for s in sorted(Counter(sizes).elements(), reverse=True):
+        fits = [i for i, r in enumerate(space) if r >= s]
+        if not fits:
+            space.append(10)
+            fits = [len(space) - 1]
+        space[min(fits, key=lambda i: space[i])] -= s
+    used = Counter()
+    for size, lo, hi, first, each, held, start in corpus.pack(sizes, 10):
+        for rank in range(lo, hi):
+            used[first + (rank - lo) // each] += size
+    assert sorted(10 - u for u in used.values()) == sorted(space) and max(used.values()) <= 10
+
+
+PERSONAL = [
+    ("see rillfit@1.4.2, @quillcam, W = A @ B.T and @njit(cache=True)", []),
+    ('"source": "x\\njelle+news＠mail.rill.example\\n"', [("email", "jelle+news＠mail.rill.example")]),
+    ("<droric+nb%40rill.invalid> or fga at pixel dot invalid senden", [("email", "droric+nb%40rill.invalid"), ("email", "fga at pixel dot invalid")]),
+    ("thia(at)kestrel-lab(dot)example (second)", [("email", "thia(at)kestrel-lab(dot)example")]),
+    ("Call +44 (0)7700 900172, 030/23125150 (ext. 4) or (549) 555-0176.", [("phone", "+44 (0)7700 900172"), ("phone", "030/23125150"), ("phone", "(549) 555-0176")]),
+    ("checkpoint 900_570_156 grid 1920-1080-0030 version 01.99.00 ISBN 978-0-00-000000-2", []),
+    ("assert lookup('06 697 861 768')  # TIN", [("identity", "06 697 861 768")]),
+    ("row 1: NINO=QQ 65 41 09 B cam=D04; NIF: 42177616-X; passport C3197 9763 matched", [("identity", "QQ 65 41 09 B"), ("identity", "42177616-X"), ("identity", "C3197 9763")]),
+    ("12 Avenue clips, 8 Street clips, see Section 14 Road map", []),
+    ("at 34c Old Sedgemere Street, second floor; 31 bis, rue du Morvdale", [("address", "34c Old Sedgemere Street"), ("address", "31 bis, rue du Morvdale")]),
+    ("addr = 'Velmfieldgatan 74–104' # Avda. de Winnford, 9", [("address", "Velmfieldgatan 74–104"), ("address", "Avda. de Winnford, 9")]),
+    ("The Wren index, Frost and Marsh textures, Kalman Filter at 3", []),
+    ("Thanks to Dr. Tiaric D. O’Sable for; TODO(Lark de la Frost): x", [("name", "Tiaric D. O’Sable"), ("name", "Lark de la Frost")]),
+    ("As Marsh, Lark noted, Brian Frost-Vale came", [("name", "Marsh, Lark"), ("name", "Brian Frost-Vale")]),
+]
+
+
+@pytest.mark.parametrize("text, want", PERSONAL)
+def test_p8_forms(text, want):
+    import pyarrow as pa
+
+    from provenance import pii
+
+    names = ["Brian", "Lark", "Tiaric"], ["Frost", "Marsh", "Sable", "Vale", "Wren"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, None])], ["doc_id", "text"])
+    (found,) = pii.scanned([batch], *names, masked=False)
+    assert sorted((r["kind"], r["found_text"]) for r in found.to_pylist()) == sorted(want)
+    (masked,) = pii.scanned([batch], *names, masked=True)
+    for kind, piece in want:
+        text = text.replace(piece, f"[{kind.upper()}]")
+    assert masked.column(1).to_pylist() == [text, None]
+
+
+def test_p8(spark):
+    texts = {r["doc_id"]: r["text"] for r in rows("documents")}
+    out = found(spark, "p8_found")
+    assert {k for _, k, _ in out} == {"email", "phone", "identity", "address", "name"}
+    assert all(x in texts[d] for d, _, x in out)
+
+
+def test_reports(spark):
+    kept = Counter(m for m, *_ in found(spark, "p1_found"))
+    cut = {m: (c, n) for m, c, n in found(spark, "p1_cutoffs")}
+    assert kept == {m: n for m, (_, n) in cut.items()}
+    assert Counter(t for t, _ in found(spark, "p5_found")) == sum((Counter({t: n}) for t, _, n in found(spark, "p5_by_month")), Counter())
+
+
+def test_p2_splits(spark):
+    sf = "/root/testdata/sf0.01"
+    split, at = dict(found(spark, "p2_splits", sf)), {}
+    videos = rows("videos", sf)
+    assert set(split) == {r["row_id"] for r in videos}
+    for r in videos:
+        for c in ("device", "model_group"):
+            if plain(r[c]):
+                assert at.setdefault(plain(r[c]), split[r["row_id"]]) == split[r["row_id"]]
+    for r in rows("model_splits", sf):
+        names = {plain(x) for x in [r["model_group"], *re.split("[,; ]+", r["devices"] or "")]} - {""}
+        assert len({at[n] for n in names if n in at}) <= 1
+    n = Counter(split.values())
+    assert all(abs(n[k] / len(split) - x) < 0.03 for k, x in domain.SHARES.items())
