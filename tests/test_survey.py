@@ -12,3 +12,7 @@ def catalogue(name):
 
 def test_offset_calibration_is_planned_over_the_full_grid():
     assert "61×61" in catalogue("offset_calibration") and "13×13" not in catalogue("offset_calibration")
+
+
+def test_cluster_bootstrap_is_planned_with_all_resamples():
+    assert "B=2,000" in catalogue("cluster_bootstrap_ci") and "B=200," not in catalogue("cluster_bootstrap_ci")
