@@ -16,3 +16,9 @@ def test_offset_calibration_is_planned_over_the_full_grid():
 
 def test_cluster_bootstrap_is_planned_with_all_resamples():
     assert "B=2,000" in catalogue("cluster_bootstrap_ci") and "B=200," not in catalogue("cluster_bootstrap_ci")
+
+
+def test_catalogue_names_the_domain_tables():
+    planned = SURVEY.partition("\n## 10.")[2].partition("\n## 11.")[0]
+    assert not re.search(r"\borders\b|\bcustomer\b|\bnation\b|injected nulls|c_name", planned)
+    assert all(x in catalogue(q) for q, x in (("attribution_summary", "scores"), ("device_table", "videos"), ("greedy_deal", "model_splits")))
