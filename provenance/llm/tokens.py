@@ -210,55 +210,51 @@ def _encoded(batches: Iterator, path: str, count_only: bool) -> Iterator:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["word", "ids"])
 
 
-LAST = 2**31 - 1
+def _in_order(batch, k: int):
+    """Of the k-th block: its documents, where each one's codes begin, the codes, and its words' answers by number."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    docs, counts = (batch.column(i)[k].values.to_numpy() for i in (1, 2))
+    edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    total = int(edges[-1])
+    raw = zstandard.ZstdDecompressor().decompress(batch.column(3)[k].as_py(), max_output_size=max(1, 4 * total))
+    codes = np.frombuffer(raw, np.uint16 if len(raw) == 2 * total else np.uint32)
+    at, answers = batch.column(4)[k].values.flatten()
+    return docs, edges, codes, answers.take(pa.array(np.argsort(at.to_numpy())))
 
 
 def _set_in(batches: Iterator, count_only: bool) -> Iterator:
-    """Rows sorted by (block, at): the answers of a block's words, then the block itself (at = LAST). Out come its documents."""
+    """Blocks with their words' answers, into documents with their ids or the number of these."""
     import numpy as np
     import pyarrow as pa
-    import zstandard
 
-    lists, open_block = [], None
-    unpress = zstandard.ZstdDecompressor()
     for batch in batches:
-        at = batch.column(1).to_numpy()
-        ends = np.flatnonzero(at == LAST).tolist()
-        begin = 0
-        for end in [*ends, batch.num_rows]:
-            if end > begin:
-                lists.append(batch.column(2).slice(begin, end - begin))
-            begin = end + 1
-            if end == batch.num_rows:
-                continue
-            docs, counts = (batch.column(i)[end].values.to_numpy() for i in (3, 4))
-            raw = unpress.decompress(batch.column(5)[end].as_py(), max_output_size=max(1, 4 * int(counts.sum(dtype=np.int64))))
-            total = int(counts.sum(dtype=np.int64))
-            codes = np.frombuffer(raw, np.uint16 if len(raw) == 2 * total else np.uint32)
-            answers = pa.concat_arrays(lists) if lists else pa.array([], batch.schema.field(2).type)
-            lists = []
-            edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        for k in range(batch.num_rows):
+            docs, edges, codes, answers = _in_order(batch, k)
             if count_only:
                 sums = np.concatenate([[0], np.cumsum(answers.to_numpy().astype(np.int64)[codes])])
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums[edges[1:]] - sums[edges[:-1]])], ["doc", "n_tokens"])
                 continue
-            size = np.diff(answers.offsets.to_numpy())
-            start = answers.offsets.to_numpy()[:-1]
-            ids = answers.values.to_numpy()
-            each = size[codes].astype(np.int64)
+            offsets, ids = answers.offsets.to_numpy(), answers.values.to_numpy()
+            each = np.diff(offsets)[codes].astype(np.int64)
             upto = np.concatenate([[0], np.cumsum(each)])
-            place = np.arange(int(upto[-1]), dtype=np.int64) - np.repeat(upto[:-1] - start[codes], each)
-            offsets = upto[edges]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[place], pa.int32()))], ["doc", "ids"])
+            place = np.arange(int(upto[-1]), dtype=np.int64) - np.repeat(upto[:-1] - offsets[:-1][codes], each)
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(upto[edges].astype(np.int32)), pa.array(ids[place], pa.int32()))], ["doc", "ids"])
 
 
 def _answered(blocks: DataFrame, answer: str, kind: str, table: DataFrame) -> DataFrame:
-    """The words' answers (word, answer) brought back to their blocks, sorted for _set_in."""
+    """(block, docs, counts, codes, answers): table's (word, answer) brought back to every block that holds the word.
+
+    One shuffle by block carries both the answers and the codes. A block's answers are one list, no longer than its text.
+    """
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<bigint>"), ("counts", "array<int>"), ("codes", "binary"))]
-    back = words.join(table, "word").select("block", "at", answer, *none)
-    ends = blocks.select("block", F.lit(LAST).alias("at"), F.lit(None).cast(kind).alias(answer), "docs", "counts", "codes")
-    return back.unionByName(ends).repartition("block").sortWithinPartitions("block", "at")
+    rest = ("docs", "array<bigint>"), ("counts", "array<int>"), ("codes", "binary")
+    none = F.lit(None).cast(f"struct<at:int,answer:{kind}>").alias("x")
+    back = words.join(table, "word").select("block", F.struct("at", F.col(answer).alias("answer")).alias("x"), *(F.lit(None).cast(t).alias(c) for c, t in rest))
+    rows = back.unionByName(blocks.select("block", none, *(c for c, _ in rest))).repartition("block")
+    return rows.groupBy("block").agg(*(F.first(c, ignorenulls=True).alias(c) for c, _ in rest), F.collect_list("x").alias("answers"))
 
 
 def word_table(blocks: DataFrame, path: str, count_only: bool) -> DataFrame:
@@ -275,16 +271,16 @@ def encode(docs: DataFrame, doc: str, text: str, path: str | None = None) -> Dat
     """
     path = path or vocabulary_path()
     blocks = split_words(docs, doc, text)
-    sorted_rows = _answered(blocks, "ids", "array<int>", word_table(blocks, path, False))
-    return sorted_rows.mapInArrow(lambda b: _set_in(b, False), "doc bigint, ids array<int>").withColumnRenamed("doc", doc)
+    blocks = _answered(blocks, "ids", "array<int>", word_table(blocks, path, False))
+    return blocks.mapInArrow(lambda b: _set_in(b, False), "doc bigint, ids array<int>").withColumnRenamed("doc", doc)
 
 
 def count(docs: DataFrame, doc: str, text: str, path: str | None = None) -> DataFrame:
     """(doc, n_tokens): the same table of words, with nothing but the number of ids brought back."""
     path = path or vocabulary_path()
     blocks = split_words(docs, doc, text)
-    sorted_rows = _answered(blocks, "n", "int", word_table(blocks, path, True))
-    return sorted_rows.mapInArrow(lambda b: _set_in(b, True), "doc bigint, n_tokens bigint").withColumnRenamed("doc", doc)
+    blocks = _answered(blocks, "n", "int", word_table(blocks, path, True))
+    return blocks.mapInArrow(lambda b: _set_in(b, True), "doc bigint, n_tokens bigint").withColumnRenamed("doc", doc)
 
 
 # decoding
@@ -316,29 +312,15 @@ def _id_blocks(batches: Iterator) -> Iterator:
 
 def _pieces(batches: Iterator) -> Iterator:
     """Like _set_in, with pieces of bytes: out come texts. A document without ids is an empty text."""
-    import numpy as np
     import pyarrow as pa
-    import zstandard
 
-    pieces, unpress = [], zstandard.ZstdDecompressor()
     for batch in batches:
-        at = batch.column(1).to_numpy()
-        begin = 0
-        for end in [*np.flatnonzero(at == LAST).tolist(), batch.num_rows]:
-            if end > begin:
-                pieces += batch.column(2).slice(begin, end - begin).to_pylist()
-            begin = end + 1
-            if end == batch.num_rows:
-                continue
-            docs, counts = (batch.column(i)[end].values.to_numpy() for i in (3, 4))
-            total = int(counts.sum(dtype=np.int64))
-            raw = unpress.decompress(batch.column(5)[end].as_py(), max_output_size=max(1, 4 * total))
-            codes = np.frombuffer(raw, np.uint16 if len(raw) == 2 * total else np.uint32)
-            edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist()
-            for k in range(0, len(docs), 64):
-                texts = [b"".join([pieces[c] for c in codes[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(edges[k : k + 64], edges[k + 1 : k + 65])]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 64]), pa.array(texts, pa.string())], ["doc", "text"])
-            pieces = []
+        for k in range(batch.num_rows):
+            docs, edges, codes, answers = _in_order(batch, k)
+            pieces, edges = answers.to_pylist(), edges.tolist()
+            for i in range(0, len(docs), 64):
+                texts = [b"".join([pieces[c] for c in codes[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(edges[i : i + 64], edges[i + 1 : i + 65])]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 64]), pa.array(texts, pa.string())], ["doc", "text"])
 
 
 def piece_table(spark, path: str | None = None) -> DataFrame:
@@ -351,5 +333,5 @@ def decode(encoded: DataFrame, doc: str, ids: str, path: str | None = None) -> D
     """(doc, text): the pieces of the ids, joined by id, in order. Null and empty lists give an empty text; ids outside the vocabulary fail."""
     lists = encoded.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
     blocks = written(lists.mapInArrow(_id_blocks, BLOCKS.replace("words array<string>", "words array<int>")), "idblocks")
-    rows = _answered(blocks, "piece", "binary", F.broadcast(piece_table(encoded.sparkSession, path)))
-    return rows.mapInArrow(_pieces, "doc bigint, text string").withColumnRenamed("doc", doc)
+    blocks = _answered(blocks, "piece", "binary", F.broadcast(piece_table(encoded.sparkSession, path)))
+    return blocks.mapInArrow(_pieces, "doc bigint, text string").withColumnRenamed("doc", doc)
