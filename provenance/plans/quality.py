@@ -94,3 +94,34 @@ QUERIES = {
     "p4_found": load_findings, "p4_profile": column_profiles, "p4_shift": column_shifts,
     "p5_found": unheld_rows, "p5_filter": filter_rates, "p5_months": unheld_by_month,
 }
+
+_BAD = {"fps": "(isnan(fps) OR fps < 1 OR fps > 240)", "width": "(width < 16 OR width > 8192)", "codec": "(NOT regexp_full_match(codec, '[a-z][a-z0-9]{2,9}'))"}
+_SHOWN = {"fps": "floor(fps + 0.5)::BIGINT::VARCHAR", "width": "width::VARCHAR", "codec": "codec"}
+_CELLS = " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {c} IS NULL AS is_null, coalesce({b}, false) AS is_bad, CASE WHEN {c} IS NOT NULL AND NOT {b} THEN {_SHOWN[c]} END AS v FROM inventory WHERE load_id IS NOT NULL" for c, b in _BAD.items())
+_HELD = "regexp_replace(lower(device), '[^\\p{L}\\p{M}\\p{N}]', '', 'g')"
+_CLAIM = "regexp_replace(lower(claimed_device), '[^\\p{L}\\p{M}\\p{N}]', '', 'g')"
+
+
+def _plain(c: str) -> str:
+    """`.` and repeated slashes, then `..` four times over: as deep as any path here goes."""
+    x = f"regexp_replace(regexp_replace('/' || {c}, '/(\\./)+', '/', 'g'), '/+(\\./+)*', '/', 'g')"
+    for _ in range(4):
+        x = f"regexp_replace({x}, '/[^/]+/\\.\\./', '/')"
+    return f"ltrim({x}, '/')"
+
+
+_ORPHANS = f"""o AS (SELECT 'attacks' AS table_name, row_id, created_at FROM attacks a WHERE trim(claimed_device) <> '' AND NOT EXISTS (SELECT 1 FROM camera_registry r WHERE {_HELD} = {_CLAIM} AND registered_at <= a.created_at AND (retired_at IS NULL OR a.created_at < retired_at))
+ UNION ALL SELECT 'synthetic', row_id, created_at FROM synthetic a WHERE trim(claimed_device) <> '' AND NOT EXISTS (SELECT 1 FROM camera_registry r WHERE {_HELD} = {_CLAIM} AND registered_at <= a.created_at AND (retired_at IS NULL OR a.created_at < retired_at))
+ UNION ALL SELECT 'frames_index', row_id, created_at FROM frames_index a WHERE trim(frames_path) <> '' AND NOT EXISTS (SELECT 1 FROM frame_files r WHERE {_plain('path')} = {_plain('frames_path')} AND written_at <= a.created_at AND (deleted_at IS NULL OR a.created_at < deleted_at)))"""
+SQL = {
+    "p4_found": f"""WITH c AS ({_CELLS}), t AS (SELECT load_id, column_name, count(*)::DOUBLE AS n, count(*) FILTER (is_null) AS nulls, count(*) FILTER (is_bad) AS bads, count(v)::DOUBLE AS good FROM c GROUP BY ALL),
+ p AS (SELECT t.*, b.load_id AS base, b.n AS bn, b.nulls AS bnulls, b.good AS bgood FROM t JOIN loads l USING (load_id) JOIN t b ON b.load_id = l.base_load_id AND b.column_name = t.column_name), s AS (SELECT load_id, column_name, v, count(*) AS m FROM c WHERE v IS NOT NULL GROUP BY ALL),
+ d AS (SELECT p.load_id, p.column_name, good, bgood, s.v, s.m * bgood AS x FROM p JOIN s USING (load_id, column_name) UNION ALL SELECT p.load_id, p.column_name, good, bgood, s.v, -s.m * good FROM p JOIN s ON s.load_id = p.base AND s.column_name = p.column_name),
+ m AS (SELECT load_id, column_name, good, bgood, sum(abs(x)) AS x FROM (SELECT load_id, column_name, good, bgood, v, sum(x) AS x FROM d GROUP BY ALL) GROUP BY ALL)
+ SELECT load_id, column_name, 'value' AS finding FROM t WHERE bads > 0 UNION ALL SELECT load_id, column_name, 'nulls' FROM p WHERE abs(nulls * bn - bnulls * n) * 10 > n * bn UNION ALL SELECT load_id, column_name, 'mix' FROM m WHERE good > 0 AND bgood > 0 AND x * 10 > good * bgood * 6""",
+    "p4_shift": """WITH c AS (SELECT load_id, 'fps' AS column_name, rint AS x FROM (SELECT load_id, round_even(fps * 1000, 0) / 1000 AS rint FROM inventory WHERE fps BETWEEN 1 AND 240) UNION ALL SELECT load_id, 'width', width::DOUBLE FROM inventory WHERE width BETWEEN 16 AND 8192),
+ m AS (SELECT load_id, column_name, count(*) AS numbers, avg(x) AS mean, stddev_pop(x) AS sd FROM c WHERE load_id IS NOT NULL GROUP BY ALL)
+ SELECT a.load_id, base_load_id AS base, a.column_name, a.numbers, b.numbers AS base_numbers, a.mean, b.mean AS base_mean, a.sd, b.sd AS base_sd, (a.mean - b.mean) / sqrt((a.sd * a.sd + b.sd * b.sd) / 2) AS d_mean, ln(a.sd / b.sd) AS log_sd_ratio FROM m a JOIN loads l USING (load_id) JOIN m b ON b.load_id = l.base_load_id AND b.column_name = a.column_name""",
+    "p5_found": f"WITH {_ORPHANS} SELECT table_name, row_id FROM o",
+    "p5_months": f"WITH {_ORPHANS} SELECT table_name, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM o GROUP BY ALL",
+}
