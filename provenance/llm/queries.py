@@ -138,3 +138,18 @@ QUERIES = {
     "p7_containers": containers, "p7_steps": container_steps,
     "p8_found": personal, "p8_masked": masked,
 }
+
+_SCORED = "s AS (SELECT model, split_name, sample_id, max(p_organic) AS p FROM predictions WHERE model IN (SELECT model FROM keep_targets) AND p_organic BETWEEN 0 AND 1 GROUP BY ALL)"
+_CUTS = f"{_SCORED}, r AS (SELECT s.model, p, row_number() OVER (PARTITION BY s.model ORDER BY p DESC) AS k, count(*) OVER (PARTITION BY s.model) AS n, keep_permille FROM s JOIN keep_targets USING (model)), c AS (SELECT model, max(p) AS cutoff FROM r WHERE k * 1000 >= keep_permille::BIGINT * n GROUP BY ALL)"
+_NAME = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')"
+_LISTED = f"""m AS (SELECT row_number() OVER () AS i, fold, list_filter([{_NAME.format("coalesce(x, '')")} FOR x IN [model_group] || CASE WHEN regexp_matches(devices, '[,;|/]') THEN regexp_split_to_array(devices, '[,;|/]') ELSE regexp_split_to_array(coalesce(devices, ''), '\\s+') END], lambda n: n <> '') AS names FROM model_splits),
+ e AS (SELECT DISTINCT 'row ' || i AS a, n AS b FROM (SELECT i, unnest(names) AS n FROM m)), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+SQL = {
+    "p1_found": f"WITH {_CUTS} SELECT model, split_name, sample_id FROM s JOIN c USING (model) WHERE p >= cutoff",
+    "p2_found": f"""WITH RECURSIVE {_LISTED}, w AS (SELECT DISTINCT a AS node, a AS seen FROM g UNION SELECT w.node, g.b FROM w JOIN g ON w.seen = g.a), k AS (SELECT node, min(seen) AS component FROM w GROUP BY ALL),
+ f AS (SELECT component, min(fold) AS fold FROM k JOIN m ON node = 'row ' || i WHERE fold IS NOT NULL GROUP BY component HAVING min(fold) = max(fold))
+ SELECT row_id FROM videos v JOIN k ON node = {_NAME.format("coalesce(device, model_group)")} JOIN f USING (component) WHERE v.fold <> f.fold""",
+    "p3_found": "SELECT query, candidate FROM (SELECT query, candidate, max(pce0) AS s FROM scores WHERE pce0 IS NOT NULL AND NOT isnan(pce0) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, candidate) <= 3",
+    "p3_ranked": "SELECT query, candidate, s AS pce0, row_number() OVER (PARTITION BY query ORDER BY s DESC, candidate)::INT AS rank FROM (SELECT query, candidate, max(pce0) AS s FROM scores WHERE pce0 IS NOT NULL AND NOT isnan(pce0) GROUP BY ALL) QUALIFY rank <= 3",
+    "p6_restored": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
