@@ -41,9 +41,9 @@ def prefix_sums(frames: DataFrame, clip: str, value: str, at: list[int]) -> Data
 
 def padded(frames: DataFrame, clip: str, value: str, window: int) -> DataFrame:
     """(clip, n, xs): the first `window` values in order, repeated from the start where the clip is shorter. A clip holds `window` entries at most."""
-    seq = frames.where(F.col("frame") < window).groupBy(clip).agg(F.sort_array(F.collect_list(F.struct("frame", value))).alias("s"))
+    seq = frames.where(F.col("frame") < window).groupBy(clip).agg(F.sort_array(F.collect_list(F.struct(F.col("frame").alias("k"), F.col(value).alias("v")))).alias("s"))
     n = F.size("s")
-    return seq.select(clip, n.alias("n"), F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.get("s", i % n)[value]).alias("xs"))
+    return seq.select(clip, n.alias("n"), F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.get("s", i % n)["v"]).alias("xs"))
 
 
 def even_picks(n: Column, k: int) -> Column:
