@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +28,36 @@ def soft_vote(df: DataFrame, keys: list[str], members: list[str]) -> DataFrame:
     return df.where(F.col("model").isin(members)).groupBy(*keys).agg(*(F.avg(p).alias(p) for p in P), F.count("*").alias("m"), F.first("y").alias("y")).where(F.col("m") == len(members)).drop("m")
 
 
+def _places(edges: list[float]):
+    """How many of the sorted edges are no greater than a number, so the place of the first that is."""
+
+    def place(x: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(np.searchsorted(np.array(edges), x.to_numpy(), side="right").astype("int32"))
+
+    return F.pandas_udf(place, "int")
+
+
 def offset_f1(df: DataFrame, by: list[str], steps: int = 61, span: float = 3.0) -> DataFrame:
     """(by, b1, b2, f1) for every pair of offsets of a steps x steps grid on -span … span: macro F1 over three classes of argmax(log p + (0, b1, b2)).
 
     A row's decision depends on three numbers only: u = l0 - l1, v = l0 - l2, w = l1 - l2, and these on the grid only through
     the least step at which each comparison turns. Rows are counted per such cell, so the grid meets cells, not rows; these
-    are at most (steps + 1) squared times 2 steps times 3 a group, whatever the data, and are shared out over 16 tasks.
+    are at most (steps + 1) squared times 2 steps times 3 a group, whatever the data, and are shared out in parts of some 20,000.
     """
     grid = [round(-span + 2 * span * k / (steps - 1), 10) for k in range(steps)]
     l0, l1, l2 = (logp(F.col(p)) for p in P)
 
-    def first_at(x: Column, strict: bool) -> Column:
-        """How many grid values fail: b > x (strict) or b >= x is true from this index on."""
-        return sum(F.when(F.lit(g) > x if strict else F.lit(g) >= x, 0).otherwise(1) for g in grid)
-
     # class 1 beats 0 if b1 > u; class 2 beats 0 if b2 > v; class 2 beats 1 if b2 - b1 > w (argmax takes the first of equals)
     diffs = sorted({round(a - b, 10) for a in grid for b in grid})
-    third = sum(F.when(F.lit(d) > l1 - l2, 0).otherwise(1) for d in diffs)
-    cells = cut_lineage(df.groupBy(*by, first_at(l0 - l1, True).alias("i"), first_at(l0 - l2, True).alias("j"), third.alias("k"), "y").agg(F.count("*").alias("n")))
+    turn, third = _places(grid), _places(diffs)
+    cells = cut_lineage(df.groupBy(*by, turn(l0 - l1).alias("i"), turn(l0 - l2).alias("j"), third(l1 - l2).alias("k"), "y").agg(F.count("*").alias("n")))
     first, schema = [*by, "part"], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name in by), "g int", *(f"{n}{c} bigint" for c in range(3) for n in ("tp", "s"))])
 
     def counted(pdf):
         """Of some cells of a group, for every pair of the grid: hits, and true plus called ones, of each class."""
         import numpy as np
-        import pandas as pd
 
         a, b = np.divmod(np.arange(steps * steps), steps)
         c = b - a + steps - 1
@@ -66,7 +73,8 @@ def offset_f1(df: DataFrame, by: list[str], steps: int = 61, span: float = 3.0)
                 out[:, 2 * x + 1] += (is_x * n).sum(0) + ((y == x) * n).sum()
         return pd.DataFrame({**{x: [pdf[x].iloc[0]] * len(out) for x in by}, "g": np.arange(len(out), dtype=np.int32), **{f"{m}{x}": out[:, 2 * x + z] for x in range(3) for z, m in enumerate(("tp", "s"))}})
 
-    parts = cells.withColumn("part", F.pmod(F.xxhash64("i", "j", "k"), F.lit(16))).groupBy(*first).applyInPandas(counted, schema)
+    most = cells.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    parts = cells.withColumn("part", F.pmod(F.xxhash64("i", "j", "k"), F.lit(-(-most // 20_000) or 1))).groupBy(*first).applyInPandas(counted, schema)
     counts = parts.groupBy(*by, "g").agg(*(F.sum(f"{n}{c}").alias(f"{n}{c}") for c in range(3) for n in ("tp", "s")))
     f1 = sum(2.0 * F.col(f"tp{c}") / F.greatest(F.lit(1), F.col(f"s{c}")) for c in range(3)) / 3
     values = F.array(*map(F.lit, grid))
