@@ -70,7 +70,7 @@ NAME = rf"(?:(?:{W}(?:-{W})?|[A-Z]\.){INITIALS} {FAMILY}|{FAMILY}, (?:{W}(?:-{W}
 TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|M|Mme|Herr|Frau|Sra?)\.? )*"
 NAMED = (
     rf"(?:__author__ = \\?[\"']|[Ww]ritten by |Notebook by |operator=|owner = \\?[\"']|TODO\(|Thanks to |Author: |Review(?:er)?: |Signed-off-by: |[Aa]pproved by |Betreut von |Préparé par |<td>){TITLE}({NAME})",
-    rf"(?:^|\n)\d+ {{3}}({NAME}) {{3}}",
+    rf"(?:^|[\n\"])\d+ {{3}}({NAME}) {{3}}",
     rf"(?:\bAs |\bAsk ){TITLE}({NAME})(?= noted| before)",
     rf"({NAME})(?= recorded )",
 )
@@ -94,9 +94,9 @@ class Plain:
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
     def _signs(self) -> None:
-        """Sign by sign: what shows nothing goes, what looks like a Latin sign becomes it, in words with Latin letters only."""
+        """Sign by sign: what shows nothing goes, a letter and its mark become one, what looks like a Latin sign becomes it, in words with Latin letters only."""
         line = self.text
-        out, starts = [], []
+        out, starts, ends = [], [], []
         mixed = set()
         if any(c in HOMOGLYPHS for c in line):
             for m in re.finditer(r"[\w.+@-]+", line):
@@ -105,10 +105,13 @@ class Plain:
         for i, c in enumerate(line):
             if c in HIDDEN:
                 continue
+            if "\u0300" <= c <= "\u036f" and out and len(whole := unicodedata.normalize("NFC", out[-1] + c)) == 1:
+                out[-1], ends[-1] = whole, i + 1
+                continue
             out.append(ALIKE.get(c, c) if i not in mixed else HOMOGLYPHS.get(c, ALIKE.get(c, c)))
             starts.append(i)
-        self.text, self.starts = "".join(out), starts
-        self.ends = [i + 1 for i in starts]
+            ends.append(i + 1)
+        self.text, self.starts, self.ends = "".join(out), starts, ends
 
     def _rewrite(self) -> None:
         """Disguised at and dot signs, and digits written as words. All signs of what is put in come from all that it replaces."""
@@ -154,7 +157,7 @@ def line_filter(given: list[str]) -> str:
     # the plain form has one kind of space and hyphen, the line may have others
     space, hyphen = " \u00a0\u202f\u2007", "\u2010-\u2012\u2212-"
     phone = PHONE.replace(S, "\0").replace(G, "\1").replace(r"-\d{3}-", rf"[{hyphen}]\d{{3}}[{hyphen}]").replace(" ", f"[{space}]").replace("\0", f"[.{space}{hyphen}]").replace("\1", f"[./{space}{hyphen}]")
-    odd = f"[{''.join(HIDDEN)}]|[A-Za-z@.][{''.join(HOMOGLYPHS)}]|[{''.join(HOMOGLYPHS)}][A-Za-z@.]|[\uff01-\uff5e]"
+    odd = f"[{''.join(HIDDEN)}]|[A-Za-z@.][{''.join(HOMOGLYPHS)}]|[{''.join(HOMOGLYPHS)}][A-Za-z@.]|[\uff01-\uff5e]|[A-Za-z][\u0300-\u036f]"
     return "|".join([at, phone, ID_AFTER, ID_BEFORE, *STREET, *plain, rf"(?:{'|'.join(map(re.escape, given)) or '[^ -~]{99}'}) (?:[A-Z]\. |[a-z]{{2,5}} ){{0,3}}{U}", SPELLED.replace(r"\b", ""), odd])
 
 

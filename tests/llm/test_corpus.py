@@ -147,6 +147,8 @@ PERSONAL = [
     ("addr = 'Velmfieldgatan 74–104' # Avda. de Winnford, 9", [("address", "Velmfieldgatan 74–104"), ("address", "Avda. de Winnford, 9")]),
     ("The Wren index, Frost and Marsh textures, Kalman Filter at 3", []),
     ("Thanks to Dr. Tiaric D. O’Sable for; TODO(Lark de la Frost): x", [("name", "Tiaric D. O’Sable"), ("name", "Lark de la Frost")]),
+    ('     "text": "34   J. Rivers   D29   0.552', [("name", "J. Rivers")]),
+    ("Pre\u0301pare\u0301 par Mme Sysil Baula\u0301dahl-Hill.", [("name", "Sysil Baula\u0301dahl-Hill")]),
     ("As Marsh, Lark noted, Brian Frost-Vale came", [("name", "Marsh, Lark"), ("name", "Brian Frost-Vale")]),
 ]
 
