@@ -156,7 +156,7 @@ def line_filter(given: list[str]) -> str:
     at = rf"[A-Za-z0-9._+-](?:[@＠﹫]|{AT})|[A-Za-z0-9] (?i:at) (?:{LABEL}(?: (?i:dot) |\.))*{LABEL} (?i:dot) [A-Za-z]{{2}}"
     # the plain form has one kind of space and hyphen, the line may have others
     space, hyphen = " \u00a0\u202f\u2007", "\u2010-\u2012\u2212-"
-    phone = PHONE.replace(S, "\0").replace(G, "\1").replace(r"-\d{3}-", rf"[{hyphen}]\d{{3}}[{hyphen}]").replace(" ", f"[{space}]").replace("\0", f"[.{space}{hyphen}]").replace("\1", f"[./{space}{hyphen}]")
+    phone = PHONE.replace(S, "\0").replace(G, "\1").replace(r"-\d{3}-", rf"[{hyphen}]\d{{3}}[{hyphen}]").replace("[. ]", "\2").replace(" ", f"[{space}]").replace("\2", f"[.{space}]").replace("\0", f"[.{space}{hyphen}]").replace("\1", f"[./{space}{hyphen}]")
     odd = f"[{''.join(HIDDEN)}]|[A-Za-z@.][{''.join(HOMOGLYPHS)}]|[{''.join(HOMOGLYPHS)}][A-Za-z@.]|[\uff01-\uff5e]|[A-Za-z][\u0300-\u036f]"
     return "|".join([at, phone, ID_AFTER, ID_BEFORE, *STREET, *plain, rf"(?:{'|'.join(map(re.escape, given)) or '[^ -~]{99}'}) (?:[A-Z]\. |[a-z]{{2,5}} ){{0,3}}{U}", SPELLED.replace(r"\b", ""), odd])
 
