@@ -43,24 +43,14 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """The number of tables written so far, for discard."""
-    return len(_written)
-
-
-def discard(first: int, last: int) -> None:
-    """Removes the tables written between two marks. For callers that have written all that was made of them."""
-    for spark, path in _written[first:last]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @atexit.register
 def _remove() -> None:
-    try:
-        discard(0, len(_written))
-    except Exception:  # the session has ended; the folder is the cluster's to clear
-        return
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; the folder is the cluster's to clear
+            return
 
 
 def below(df: DataFrame, most: int) -> bool:
