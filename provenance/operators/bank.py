@@ -6,6 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import below, cut_lineage
+
+#: Entries of a bank that are broadcast: 20,000 vectors of 64 doubles are some 10 MB.
+BANK = 20_000
+
 
 def let(c: Column, f) -> Column:
     """f(c) with c worked out once: a lambda's argument is a value, while a column named in a lambda is worked out for every element."""
@@ -38,9 +43,11 @@ def reference_means(refs: DataFrame, by: str, vector: str, dims: int) -> DataFra
 def bank_scores(queries: DataFrame, bank: DataFrame, q: str, k: str, name: str = "ncc") -> DataFrame:
     """Every query against every bank entry: normalised correlation at zero shift.
 
-    The bank has a fixed size (an entry per camera); its vectors are made units once, before they are sent to the tasks.
+    The result is the product of both by its meaning. The bank's vectors are made units once, then sent to all tasks if it
+    has BANK entries at most (a count is taken); a larger one meets the queries partition by partition.
     """
-    units = F.broadcast(bank.withColumn("__k", unit(F.col(k))).drop(k))
+    units = bank.withColumn("__k", unit(F.col(k))).drop(k)
+    units = F.broadcast(units) if below(bank, BANK) else units
     return queries.withColumn("__q", unit(F.col(q))).drop(q).crossJoin(units).withColumn(name, dot(F.col("__q"), F.col("__k"))).drop("__q", "__k")
 
 
@@ -80,8 +87,6 @@ def near_duplicates(df: DataFrame, item: str, vector: str, dims: int, least: flo
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(item, group): each item of a pair with the least item that it is tied to, by passing on the least label until none changes, from checkpoint to checkpoint."""
-    from ..sources.tables import cut_lineage
-
     e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = cut_lineage(e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = cut_lineage(e.groupBy("x").agg(F.least("x", F.min("y")).alias("label")))

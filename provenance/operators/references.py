@@ -47,12 +47,12 @@ def split_by_filter(refs: DataFrame, key: str, parents: DataFrame, parent_key: s
     return refs.select("*", block, *bits).join(filt, "__block", "left").select(*names, F.coalesce(let_pass, F.lit(False)).alias("may_exist"))
 
 
-def orphans(refs: DataFrame, key: str, at: str, parents: DataFrame, parent_key: str, since: str, until: str, fixed_parents: bool = False) -> DataFrame:
+def orphans(refs: DataFrame, key: str, at: str, parents: DataFrame, parent_key: str, since: str, until: str) -> DataFrame:
     """The refs whose key no parent row held at the time `at`: since <= at < until, until null for still. refs: any columns.
 
     Null keys and null times are orphans if given: leave them out before, where they are no references. A parent that never
-    began (since null) covers nothing. fixed_parents: the parent table has a fixed size, so that the exact join may
-    broadcast it; else it is a shuffle join, whose hot keys AQE splits on the reference side.
+    began (since null) covers nothing. The exact join has no hint: Catalyst broadcasts the parents only below its own
+    threshold, and else AQE splits a hot key on the side of the references.
     """
     names = refs.columns
     if "may_exist" in names:
@@ -61,7 +61,7 @@ def orphans(refs: DataFrame, key: str, at: str, parents: DataFrame, parent_key:
     held = parents.select(F.col(parent_key).alias("__held_key"), F.col(since).alias("__held_since"), F.col(until).alias("__held_until")).where("__held_key is not null")
     covers = (F.col(key) == F.col("__held_key")) & (F.col("__held_since") <= F.col(at)) & (F.col("__held_until").isNull() | (F.col(at) < F.col("__held_until")))
     denied = asked.where(~F.col("may_exist")).select(*names)
-    unheld = asked.where("may_exist").select(*names).join(F.broadcast(held) if fixed_parents else held, covers, "left_anti")
+    unheld = asked.where("may_exist").select(*names).join(held, covers, "left_anti")
     return denied.unionByName(unheld)
 
 

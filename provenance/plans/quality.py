@@ -66,8 +66,7 @@ def unheld(spark: SparkSession, sf_dir: str) -> DataFrame:
     devices = table(spark, sf_dir, "camera_registry").select(same_name(F.col("device")).alias("k"), "registered_at", "retired_at")
     files = table(spark, sf_dir, "frame_files").select(plain_path(F.col("path")).alias("k"), "written_at", "deleted_at")
     claims = _references(spark, sf_dir, "attacks", "claimed_device").unionByName(_references(spark, sf_dir, "synthetic", "claimed_device"))
-    # camera_registry is of fixed size (418 entries)
-    by_device = R.orphans(claims, "ref_key", "created_at", devices, "k", "registered_at", "retired_at", fixed_parents=True)
+    by_device = R.orphans(claims, "ref_key", "created_at", devices, "k", "registered_at", "retired_at")
     return by_device.unionByName(R.orphans(_references(spark, sf_dir, "frames_index", "frames_path"), "ref_key", "created_at", files, "k", "written_at", "deleted_at"))
 
 

@@ -117,7 +117,7 @@ def bank_pce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The PCE of every query vector against its own label's mean, over all 64 shifts."""
     e = _parted(spark, sf_dir)
     bank = B.reference_means(e.where("n < 5"), "label", "embedding", DIMS)
-    q = e.where("n >= 5").join(F.broadcast(bank), "label")  # one row per label
+    q = e.where("n >= 5").join(bank, "label")
     corr = B.circular_correlation(B.centred(F.col("embedding")), B.centred(F.col("k")), DIMS)
     return q.withColumn("corr", corr).select("vec_id", F.round(B.pce(F.col("corr"), DIMS), 4).alias("pce0"))
 

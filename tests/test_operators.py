@@ -32,6 +32,13 @@ def test_correlation_and_pce(spark):
     assert np.allclose(c, corr) and math.isclose(p, np.sign(corr[0]) * corr[0] ** 2 / np.mean(np.square(corr[3:14])))
 
 
+def test_bank_above_the_broadcast_limit(spark, monkeypatch):
+    q, k = (spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(5)], f"{n} int, {n}v array<double>") for n in "qk")
+    want = sorted(map(str, B.bank_scores(q, k, "qv", "kv").collect()))
+    monkeypatch.setattr(B, "BANK", 1)
+    assert sorted(map(str, B.bank_scores(q, k, "qv", "kv").collect())) == want and len(want) == 25
+
+
 def test_near_duplicates_recall_and_groups(spark):
     base = r.normal(size=(60, 64))
     rows = [(i * 4 + k, (base[i] + r.normal(size=64) * 0.25 * k).tolist()) for i in range(60) for k in range(3)] + [(999, None)]
