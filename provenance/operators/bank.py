@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,23 +65,41 @@ def pce(corr: Column, n: int, radius: int = 2) -> Column:
     return F.signum(peak) * peak * peak / F.greatest(energy, F.lit(1e-12))
 
 
-def near_duplicates(df: DataFrame, item: str, vector: str, dims: int, least: float, bands: int = 24, width: int = 8) -> DataFrame:
-    """Pairs (a, b, similarity) with a < b of vectors whose correlation is `least` or more, among those that share a band.
+def banding(rows: int, least: float, bucket: int = 256, missed: float = 0.002) -> tuple[int, int]:
+    """(bands, width): signs a band so that a bucket of unlike vectors holds about `bucket` rows, and bands so that a pair of similarity `least` shares none with the probability `missed`."""
+    width = max(8, math.ceil(math.log2(max(rows, 1) / bucket)))
+    agree = (1 - math.acos(least) / math.pi) ** width
+    return math.ceil(math.log(missed) / math.log1p(-agree)), width
+
+
+def copies(df: DataFrame, item: str, vector: str) -> DataFrame:
+    """(item, first): every item with the least one of the same vector. Rows without vector are left out."""
+    rows = df.where(F.col(vector).isNotNull())
+    first = rows.groupBy(vector).agg(F.min(item).alias("first"))
+    return rows.join(first, vector).select(item, "first")
 
-    A band is the signs of `width` projections on fixed random directions; candidates are verified exactly. At 0.9 a pair
-    shares one of the bands with a probability of 0.98 (measured in the tests). Rows without vector are left out.
+
+def near_duplicates(df: DataFrame, item: str, vector: str, dims: int, least: float) -> DataFrame:
+    """Pairs (a, b, similarity) with a < b of different vectors whose correlation is `least` or more, among those that share a band.
+
+    Equal vectors are first taken as one, named by their least item (see copies), so that a vector that many rows share
+    makes no pairs with itself. A band is the signs of projections on fixed random directions; their number grows with that
+    of the rows, so that buckets do not. Candidates are verified exactly. Rows without vector are left out.
     """
+    df = df.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(item).alias(item))
+    bands, width = banding(df.count(), least)
+
     def keys(vectors: pd.Series) -> pd.Series:
         import numpy as np
 
         planes = np.random.default_rng(11).standard_normal((bands * width, dims))
         m = np.array(vectors.tolist(), dtype=float).reshape(len(vectors), dims)
         bits = ((m @ planes.T) > 0).reshape(len(m), bands, width)
-        codes = (bits * (1 << np.arange(width))).sum(2) + (np.arange(bands) << width)
+        codes = (bits * (1 << np.arange(width, dtype=np.int64))).sum(2) + (np.arange(bands, dtype=np.int64) << width)
         return pd.Series(list(codes.astype("int64")))
 
     band = F.pandas_udf(keys, "array<bigint>")
-    u = df.where(F.col(vector).isNotNull()).select(F.col(item).alias("i"), unit(F.col(vector)).alias("u"))
+    u = df.select(F.col(item).alias("i"), unit(F.col(vector)).alias("u"))
     k = u.select("i", "u", F.explode(band("u")).alias("key"))
     pairs = k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), dot(F.col("x.u"), F.col("y.u")).alias("similarity"))
     return pairs.where(F.col("similarity") >= least).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -128,10 +128,10 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups that these pairs tie together; a vector of no pair is a group of its own."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id")
+    """The groups that these pairs tie together, copies with their first one; a vector of no pair is a group of its own."""
+    e = B.copies(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     groups = B.components(near_pairs(spark, sf_dir), "a", "b")
-    return e.join(groups, F.col("vec_id") == F.col("item"), "left").select("vec_id", F.coalesce("group", "vec_id").alias("group"))
+    return e.join(groups, F.col("first") == F.col("item"), "left").select("vec_id", F.coalesce("group", "first").alias("group"))
 
 
 def _event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

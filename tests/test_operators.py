@@ -51,6 +51,11 @@ def test_near_duplicates_recall_and_groups(spark):
     out = {x.item: x.group for x in B.components(pairs, "a", "b").collect()}
     assert all(g % 4 < 3 and i // 4 == g // 4 and g <= i for i, g in out.items())
     assert B.components(pairs.limit(0), "a", "b").count() == 0
+    # five hundred copies of one vector make no pair among themselves
+    many = df.where("id = 0").withColumn("id", F.explode(F.sequence(F.lit(2000), F.lit(2500)))).select("id", "v").union(df)
+    assert {(x.a, x.b) for x in B.near_duplicates(many, "id", "v", 64, 0.9).collect()} == got
+    assert {x.first for x in B.copies(many, "id", "v").where("id >= 2000").collect()} == {0}
+    assert B.banding(10**9, 0.9)[1] == 22
 
 
 def test_kernels():
